@@ -416,7 +416,7 @@ def _python_scan(text: str) -> Parsed:
     heads = list(re.finditer(rf"(?m)^(?P<i>[ \t]*)(?:async\s+)?(?P<k>def|class)\s+(?P<n>{NAME})", code))
     for m in heads:
         width, end = len(m["i"].expandtabs()), len(code)
-        for line in re.finditer(r"(?m)^(?P<i>[ \t]*)(?=[^\s#])", code[m.end() :]):
+        for line in re.finditer(r"\n(?P<i>[ \t]*)(?=[^\s#])", code[m.end() :]):
             if len(line["i"].expandtabs()) <= width:
                 end = m.end() + line.start()
                 break
