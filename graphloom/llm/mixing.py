@@ -55,7 +55,7 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share
 def _cut(items: DataFrame, budget: float) -> float:
     """The latest finish time at which all that finish by then fit into the budget."""
     low, high, before = 0.0, float(items.agg(F.max("f")).first()[0] or 0.0), 0
-    if items.agg(F.sum("size")).first()[0] <= budget:
+    if (items.agg(F.sum("size")).first()[0] or 0) <= budget:
         return high
     at = -1.0  # all up to here fit
     while True:

@@ -56,11 +56,12 @@ _EMAIL = regex.compile(r"[\p{L}\p{N}][\p{L}\p{N}._%+'-]*@(?:[\p{L}\p{N}](?:[\p{L
 _NUMBER = regex.compile(
     r"(?<![\w.])(?:(?P<ipv4>\d{1,3}(?:\.\d{1,3}){3})(?![\w]|\.\d)"
     r"|(?P<ssn>\d{3}-\d{2}-\d{4})(?![\w-])"
-    r"|(?P<card>(?:\d[ -]?){12,18}\d)(?![\w])"
+    r"|(?P<card>\d{13,19}|\d{4}(?:[ -]\d{4}){3}|\d{4}[ -]\d{6}[ -]\d{5})(?![\w]|-\d)"
     r"|(?P<phone>(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)[ .-]?|\d{2,4}[ .-])\d{2,4}(?:[ .-]?\d{2,4}){1,3}|\+\d{7,15})(?![\w]))"
     r"|(?<![\w+])(?P<plus>\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{1,4}(?:[ .-]?\d{2,4}){1,4})(?![\w])"
     r"|(?<!\w)(?P<paren>\(\d{3}\)[ .-]?\d{3}[ .-]?\d{4})(?![\w])"
 )
+_DATE = regex.compile(r"(?:19|20)\d\d[ .-]\d{1,2}[ .-]\d{1,2}|\d{1,2}[ .-]\d{1,2}[ .-](?:19|20)\d\d")
 _IBAN = regex.compile(r"\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,4})?\b")
 _IPV6 = regex.compile(r"(?<![\w:])(?:[0-9A-Fa-f]{0,4}:){2,7}[0-9A-Fa-f]{0,4}(?![\w:])")
 _SECRET = regex.compile(r"""(?i:\b(?:[\w-]*(?:token|secret|passwd|password|pwd|api[_-]?key|access[_-]?key|private[_-]?key|auth)[\w-]*)\s*[:=]\s*)(?:"(?P<a>[^"\s]{6,})"|'(?P<b>[^'\s]{6,})'|(?P<c>[^\s"',;]{8,}))|\b(?P<d>AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{20,}|sk-[A-Za-z0-9_-]{16,}|xox[abprs]-[A-Za-z0-9-]{10,}|eyJ[\w-]{8,}\.[\w-]{8,}\.[\w-]{4,}|[0-9a-f]{32,}|[0-9A-F]{32,})\b""")
@@ -181,7 +182,8 @@ def detect(text: str) -> list[tuple[int, int, str, list[tuple[int, int, str]]]]:
         elif kind == "card" and not 13 <= digits <= 19:
             continue
         elif kind in ("phone", "plus", "paren"):
-            if not 7 <= digits <= 15:
+            sure = "+" in value or "(" in value
+            if not (7 if sure else 9) <= digits <= 15 or (not sure and _DATE.match(value)):
                 continue
             kind = "phone"
         add(m.start(), m.end(), kind)

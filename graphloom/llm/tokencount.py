@@ -234,7 +234,7 @@ def token_counts(
         each = F.struct(F.col("start").cast("long").alias("s"), F.col("end").cast("long").alias("e"), F.col("replacement").alias("r"))
         usable = edits.filter("doc_id is not null and start is not null and end is not null and replacement is not null")
         rows = rows.join(usable.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.collect_list(each).alias("edits")), "doc_id", "left").select("doc_id", "text", "edits")
-    pattern = regex.compile(find) if find else None
+    pattern = regex.compile(find) if find and edits is None else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = Counter(vocabulary)
@@ -242,7 +242,7 @@ def token_counts(
             out = []
             for text, given in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
                 changes = [(e["s"], e["e"], e["r"]) for e in given or ()]
-                if pattern and text and edits is None:
+                if pattern and text:
                     changes = [(*m.span(), replacement) for m in pattern.finditer(text)]
                 if not changes:
                     n = counter.text(text)
