@@ -38,6 +38,15 @@ class GraphTables:
         """(key, id): a row for each of a symbol's distinct name and qualified name."""
         return self.symbols.select(F.explode(F.array_distinct(F.array("name", "qualified_name"))).alias("key"), "id")
 
+    @cached_property
+    def call_limits(self) -> tuple[int, bool]:
+        """The most callers of any name, and whether a called name has a dot: one pass, kept.
+
+        Walks skip the cap on callers and the suffix arm where neither can matter.
+        """
+        top = self.edges.groupBy("to_symbol_name").agg(F.count_distinct("from_symbol_id").alias("n")).agg(F.max("n").alias("n"), F.max(F.col("to_symbol_name").contains(".")).alias("dot")).first()
+        return top["n"] or 0, bool(top["dot"])
+
     def cache(self) -> GraphTables:
         for df in (self.files, self.symbols, self.refs, self.edges, self.imports):
             df.cache()

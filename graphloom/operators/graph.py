@@ -1,7 +1,7 @@
 """Walks over the call graph, for one start or many.
 
-Every walk is a loop of joins over a bounded number of levels; each level is cut
-off in the shared folder, so lineage and recomputation stay bounded.  Edges are
+Every walk is a loop of joins over a bounded number of levels (13 at most), each
+cut off in the shared folder, so lineage and recomputation stay bounded.  Edges are
 late-bound: they lead to names, and a name leads to all symbols that carry it.
 """
 
@@ -44,18 +44,21 @@ def callers_of(g: GraphTables, names: DataFrame, limit: int = PER_NAME) -> DataF
 def reverse_bfs(g: GraphTables, starts: DataFrame, depth: int, stop_at_tests: bool = False) -> DataFrame:
     """`starts`: seed, name.  seed, the caller's record and its least depth (1 for direct callers), within `depth` levels."""
     names = starts.select("seed", "name").distinct()
-    asked, found = None, None
+    most, dotted = g.call_limits
+    found = None
     for level in range(1, depth + 1):
-        hits = callers_of(g, names).withColumnRenamed("caller_name", "name_").drop("name").withColumnRenamed("name_", "name").select("seed", *SYMBOL_COLUMNS).distinct()
+        if most <= PER_NAME and not dotted:  # no cap can bind, and names match exactly only
+            ids = g.edges.join(names, F.col("to_symbol_name") == F.col("name")).select("seed", F.col("from_symbol_id").alias("id")).distinct()
+        else:
+            ids = callers_of(g, names).select("seed", "id").distinct()
         if found is not None:
-            hits = hits.join(found.select("seed", "id"), ["seed", "id"], "left_anti")
-        hits = cut(hits.withColumn("depth", F.lit(level)), "callers")
+            ids = ids.join(found.select("seed", "id"), ["seed", "id"], "left_anti")
+        hits = cut(ids.join(g.symbol_records, "id").select("seed", *SYMBOL_COLUMNS, F.lit(level).alias("depth")), "callers")
         found = hits if found is None else found.unionByName(hits)
-        asked = names if asked is None else asked.union(names)
         if level == depth or hits.isEmpty():
             break
         onward = hits.filter(~is_test_path("path")) if stop_at_tests else hits
-        names = onward.select("seed", F.explode(F.array_distinct(F.array("name", "qualified_name"))).alias("name")).distinct().join(asked, ["seed", "name"], "left_anti")
+        names = onward.select("seed", F.explode(F.array_distinct(F.array("name", "qualified_name"))).alias("name")).distinct()  # a name asked again brings no new caller
     return found
 
 
