@@ -1,6 +1,6 @@
 """Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
 
-Words are runs of anything but ASCII white space, lower-cased in A-Z, without
+Words are runs of anything but ASCII white space, lower-cased, without ASCII
 punctuation at their ends.  From each position of a benchmark item the shortest
 n-gram (3 to 12 words) is taken as a seed whose expected number of chance
 occurrences in the whole corpus is below `chance`: the product of its words'
@@ -38,7 +38,7 @@ _EDGES = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
 def words_of(text: str | None) -> list[bytes]:
-    return [w for block in word_blocks((text or "").encode("utf-8", "replace").lower()) for x in block if (w := x.strip(_EDGES))]
+    return [w for block in word_blocks((text or "").lower().encode("utf-8", "replace")) for x in block if (w := x.strip(_EDGES))]
 
 
 def smith_waterman(item: np.ndarray, passage: np.ndarray) -> int:
