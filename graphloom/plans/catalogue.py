@@ -11,12 +11,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom import functions as fn
-from graphloom import match
+from graphloom import match, render
+from graphloom.functions.bloom import Bloom, build_bloom
 from graphloom.model import REFERENCE_COLUMNS, SYMBOL_COLUMNS, GraphTables
 from graphloom.operators import graph as walks
 from graphloom.operators import lookups as look
-from graphloom.operators.compose import plan_query_many
+from graphloom.operators.compose import diff_impact_frames, plan_query_many
 from graphloom.plans.driver_view import ctes, graph
+from graphloom.sources.extract import extract
 
 Query = Callable[[SparkSession, str], DataFrame]
 _queries: dict[str, Query] = {}
@@ -401,6 +403,66 @@ def plan_query(g):
     return plan_query_many(g.documents.select("doc_id", F.col("text").alias("task"))).select("doc_id", "intent")
 
 
+@query()
+def diff_impacted(g):
+    """Callers that the symbols of a few hunks reach, with the first symbol that gives the best criticality."""
+    hunks = _hunks(g).orderBy("path", "new_start").limit(20)
+    return diff_impact_frames(g, walks.cut(hunks, "hunks"), 2)[1].select("id", "qualified_name", "via", F.round("criticality", 4).alias("criticality"))
+
+
+#: A source text for each supplier, in the language of its file: a definition that calls the next one's.
+GENERATED = {
+    ".ts": "export function run_{i}(n) {{\n  return run_{j}(n);\n}}\n",
+    ".py": "def run_{i}(n):\n    return run_{j}(n)\n",
+    ".go": "package gen\n\nfunc run_{i}(n int) int {{\n\treturn run_{j}(n)\n}}\n",
+    ".java": "public class C_{i} {{\n    private int run_{i}(int n) {{\n        return run_{j}(n);\n    }}\n}}\n",
+}
+GEN = """&gen AS (SELECT s_suppkey AS i, concat('gen/f', CAST(s_suppkey AS VARCHAR), CASE s_suppkey % 4 WHEN 0 THEN '.ts' WHEN 1 THEN '.py' WHEN 2 THEN '.go' ELSE '.java' END) AS path FROM supplier)"""
+
+
+def _generated(g: GraphTables) -> DataFrame:
+    texts = None
+    for n, (extension, text) in enumerate(GENERATED.items()):
+        pattern = text.replace("%", "%%").replace("{i}", "%1$d").replace("{j}", "%2$d").replace("{{", "{").replace("}}", "}")
+        part = g.files.filter(F.col("id") % 4 == n).select(F.format_string("gen/f%d" + extension, "id").alias("path"), F.format_string(pattern, F.col("id"), F.col("id") + 1).alias("content"))
+        texts = part if texts is None else texts.unionByName(part)
+    return texts
+
+
+@query(GEN + """ SELECT path, 'run_' || i AS name, CASE i % 4 WHEN 3 THEN 'C_' || i || '.run_' || i ELSE 'run_' || i END AS qualified_name, CASE i % 4 WHEN 3 THEN 'method' ELSE 'function' END AS kind,
+  CASE i % 4 WHEN 0 THEN 1 WHEN 1 THEN 1 WHEN 2 THEN 3 ELSE 2 END AS start_line, CASE i % 4 WHEN 0 THEN 3 WHEN 1 THEN 2 WHEN 2 THEN 5 ELSE 4 END AS end_line, i % 4 < 2 AS exported FROM gen
+UNION ALL SELECT path, 'C_' || i, 'C_' || i, 'class', 1, 5, true FROM gen WHERE i % 4 = 3""")
+def extract_symbols(g):
+    return extract(_generated(g)).filter("rec = 'symbol'").select("path", "name", "qualified_name", "kind", "start_line", "end_line", "exported")
+
+
+@query(GEN + """ SELECT path, 'run_' || (i + 1) AS name, CASE i % 4 WHEN 3 THEN 'C_' || i || '.run_' || i ELSE 'run_' || i END AS from_qualified_name, CASE i % 4 WHEN 0 THEN 2 WHEN 1 THEN 2 WHEN 2 THEN 4 ELSE 3 END AS line,
+  CASE i % 4 WHEN 0 THEN 10 WHEN 1 THEN 12 WHEN 2 THEN 9 ELSE 16 END AS "column", 'call' AS kind, 'return run_' || (i + 1) || '(n)' || CASE i % 4 WHEN 0 THEN ';' WHEN 3 THEN ';' ELSE '' END AS context FROM gen""")
+def extract_references(g):
+    return extract(_generated(g)).filter("rec = 'ref'").select("path", "name", "from_qualified_name", F.col("start_line").alias("line"), "column", "kind", "context")
+
+
+@query("SELECT DISTINCT key, true AS hit FROM keys")
+def bloom_membership(g):
+    """Every known name is a hit: no false negatives."""
+    data = build_bloom(g.symbols).to_bytes()  # 10 bits a name
+
+    def probe_names(frames):
+        bloom = Bloom.from_bytes(data)
+        for frame in frames:
+            yield frame.assign(hit=[k in bloom for k in frame["key"]])
+
+    return g.symbol_keys.select("key").distinct().mapInPandas(probe_names, "key string, hit boolean")
+
+
+@query()
+def render_mermaid(g):
+    """The diagram of the whole graph's first 800 edges, a row a line."""
+    edges = [r.asDict() for r in walks.export_all(g).limit(800).collect()]
+    lines = render.mermaid(edges, "directory").split("\n")
+    return g.symbols.sparkSession.createDataFrame(list(enumerate(lines)), "n long, line string")
+
+
 def queries() -> dict[str, Query]:
     return dict(_queries)
 
