@@ -10,9 +10,9 @@ HOOK = '#!/bin/sh\ngraphloom index "$(git rev-parse --show-toplevel)" >/dev/null
 SERVER = '{\n  "mcpServers": {\n    "graphloom": {"command": "graphloom", "args": ["mcp"]}\n  }\n}\n'
 FILES = {
     CONFIG_NAME: '[include]\npaths = []\n\n[exclude]\npaths = []\n\n[ignore]\nextra = []\n',
-    ".graphloom/agents/claude.json": SERVER,
-    ".graphloom/agents/cursor.json": SERVER,
-    ".graphloom/agents/codex.toml": '[mcp_servers.graphloom]\ncommand = "graphloom"\nargs = ["mcp"]\n',
+    ".graphloom/agents/desktop.json": SERVER,
+    ".graphloom/agents/editor.json": SERVER,
+    ".graphloom/agents/terminal.toml": '[mcp_servers.graphloom]\ncommand = "graphloom"\nargs = ["mcp"]\n',
     ".graphloom/hooks/post-commit": HOOK,
     ".graphloom/hooks/post-merge": HOOK,
 }
