@@ -453,6 +453,27 @@ def test_lm_score(spark):
     assert sum(2.0 ** -int(x) for x in whole) == pytest.approx(1) and len({(int(a), int(b)) for a, b in zip(whole, code, strict=True)}) == 256
 
 
+def test_lm_score_looks_at_the_previous_word(spark):
+    """Texts of a chain of words: the same words in another order cost more."""
+    r = random.Random(16)
+    vocabulary = ["".join(r.choice(SYLLABLES) for _ in range(3)) for _ in range(60)]
+    follows = {w: r.sample(vocabulary, 2) for w in vocabulary}
+    texts = []
+    for _ in range(400):
+        chain = [r.choice(vocabulary)]
+        while len(chain) < 40:
+            chain.append(r.choice(follows[chain[-1]]))
+        texts.append(" ".join(chain))
+    held = [t for i, t in enumerate(texts) if crc(i, 7) == 2]
+    shuffled = [" ".join(r.sample(t.split(), 40)) for t in held]
+    ids = [i for i in range(400, 4000) if crc(i, 7) == 2][: len(held)]
+    docs = spark.createDataFrame([*enumerate(texts), *zip(ids, shuffled, strict=True)], "doc_id long, text string")
+    got = {x.doc_id: x for x in contextmix.score_documents(docs).collect()}
+    straight = sum(x.score for i, x in got.items() if i < 400 and x.held_out)
+    assert sum(got[i].score for i in ids) < 1.2 * straight
+    assert contextmix.PREDICTORS == 8
+
+
 def test_decontamination(spark):
     r = random.Random(16)
     items = [words(r, r.randint(15, 40)) for _ in range(30)]
