@@ -266,6 +266,12 @@ def test_line_dedup_large_keys(spark):
     assert not any("Python" in p or "Arrow" in p for p in linededup.dedup_lines(docs_of(spark, other))._jdf.queryExecution().executedPlan().toString().split("\n"))
 
 
+def test_line_blanks(spark):
+    """Lines that differ in runs of white space alone are one line, short ones too."""
+    texts = ["one two three four five", "one  two three four five", "one two\tthree four five", "\tone two three \t  four five ", "red green blue black white"]
+    assert [bool(x.text) for x in linededup.dedup_lines(docs_of(spark, texts)).orderBy("doc_id").collect()] == [True, False, False, False, True]
+
+
 def test_line_levels(spark):
     """Ten keys: any two SimHashes within three bits share one; refined keys keep that."""
     r = random.Random(12)
