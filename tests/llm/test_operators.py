@@ -272,6 +272,18 @@ def test_line_blanks(spark):
     assert [bool(x.text) for x in linededup.dedup_lines(docs_of(spark, texts)).orderBy("doc_id").collect()] == [True, False, False, False, True]
 
 
+def test_long_lines_are_verified_by_edit_similarity(spark):
+    """Lines of over 4096 characters: scattered small changes, dropped words, and another line."""
+    r = random.Random(17)
+    base = [x + x for x in words(r, 800)]
+    changed = [w[:-1] + "q" if i % 20 == 0 else w for i, w in enumerate(base)]
+    fewer = [w for i, w in enumerate(base) if i % 12]
+    rows = [(" ".join(base), " ".join(x)) for x in (changed, fewer, [x + x for x in words(r, 800)])]
+    assert min(len(x) for row in rows for x in row) > 4096
+    frame = spark.createDataFrame(rows, "norm string, lead_norm string").coalesce(1)
+    assert [x.ok for x in frame.select(linededup._similar(0.8).alias("ok")).collect()] == [True, True, False]
+
+
 def test_line_levels(spark):
     """Ten keys: any two SimHashes within three bits share one; refined keys keep that."""
     r = random.Random(12)
