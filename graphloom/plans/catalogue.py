@@ -335,12 +335,12 @@ def export_from(g):
 @query("""&hunks AS (SELECT f.path, CAST(1 + o_orderkey % 200 AS INT) AS new_start, CAST(o_orderkey % 30 AS INT) AS new_count FROM orders JOIN files f ON f.id = o_orderkey % (SELECT count(*) FROM supplier) WHERE o_orderkey % 97 = 0)
 SELECT id, qualified_name, CAST(sum(new_count) AS BIGINT) AS added_lines, 0 AS removed_lines FROM srec JOIN hunks USING (path) WHERE start_line <= new_start + greatest(new_count, 1) - 1 AND end_line >= new_start GROUP BY 1, 2""")
 def diff_overlap(g):
-    return look.hunk_symbols(g, _hunks(g)).select("id", "qualified_name", "added_lines", "removed_lines")
+    return look.hunk_symbols(g, _hunks(g, g.orders.filter("o_orderkey % 97 = 0"))).select("id", "qualified_name", "added_lines", "removed_lines")
 
 
-def _hunks(g: GraphTables) -> DataFrame:
+def _hunks(g: GraphTables, orders: DataFrame) -> DataFrame:
     n = g.files.count()
-    orders = g.orders.filter("o_orderkey % 97 = 0").select((F.col("o_orderkey") % n).alias("id"), (1 + F.col("o_orderkey") % 200).cast("int").alias("new_start"), (F.col("o_orderkey") % 30).cast("int").alias("new_count"))
+    orders = orders.select((F.col("o_orderkey") % n).alias("id"), (1 + F.col("o_orderkey") % 200).cast("int").alias("new_start"), (F.col("o_orderkey") % 30).cast("int").alias("new_count"))
     return orders.join(g.files.select("id", "path"), "id").select("path", "new_start", "new_count")
 
 
@@ -405,9 +405,8 @@ def plan_query(g):
 
 @query()
 def diff_impacted(g):
-    """Callers that the symbols of a few hunks reach, with the first symbol that gives the best criticality."""
-    hunks = _hunks(g).orderBy("path", "new_start").limit(20)
-    return diff_impact_frames(g, walks.cut(hunks, "hunks"), 2)[1].select("id", "qualified_name", "via", F.round("criticality", 4).alias("criticality"))
+    """Callers that the symbols of all hunks reach, with the first symbol that gives the best criticality."""
+    return diff_impact_frames(g, walks.cut(_hunks(g, g.orders), "hunks"), 2)[1].select("id", "qualified_name", "via", F.round("criticality", 4).alias("criticality"))
 
 
 #: A source text for each supplier, in the language of its file: a definition that calls the next one's.

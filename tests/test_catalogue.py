@@ -42,6 +42,17 @@ def test_rows_only(spark):
         assert catalogue.queries()[name](spark, str(DATA)).columns, name
 
 
+def test_diff_impacted_takes_all_hunks(spark, monkeypatch):
+    """Every order is a hunk."""
+    taken = []
+    monkeypatch.setattr(catalogue, "diff_impact_frames", lambda g, hunks, depth: taken.append(hunks.count()) or 1 / 0)
+    with pytest.raises(ZeroDivisionError):
+        catalogue.queries()["diff_impacted"](spark, str(DATA))
+    orders, files = spark.read.parquet(f"{DATA}/orders.parquet"), spark.read.parquet(f"{DATA}/supplier.parquet").count()
+    paths = catalogue.queries()["directory"](spark, str(DATA)).select("id")
+    assert taken == [orders.selectExpr(f"o_orderkey % {files} AS id").join(paths, "id").count()] and taken[0] > 20
+
+
 def test_row_numbers(spark):
     rows = [((i * 7919) % 20_000, i % 3, 0, 0, 0, 0, 0) for i in range(3000)]
     numbered = global_row_number(spark.createDataFrame(rows, ORDER), ORDER, width=100).select("id", *ORDER).orderBy("id").collect()
