@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-import gc
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -33,29 +33,57 @@ def held_out(doc_id: Column, modulus: int, remainder: int = 2) -> Column:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder for cut lineage: spark.checkpoint.dir, or one of our own where it is unset."""
+    """The shared folder for cut lineage: spark.checkpoint.dir; where it is unset, a folder of our own, on one machine only."""
+    context = spark.sparkContext
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
-        current = spark.sparkContext._jsc.sc().getCheckpointDir()
-        path = current.get() if current.isDefined() else tempfile.mkdtemp(prefix="graphloom-")
-    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        spark.sparkContext.setCheckpointDir(path)
+        current = context._jsc.sc().getCheckpointDir()
+        if current.isDefined():
+            path = current.get()
+        elif re.fullmatch(r"local(\[[^\]]*\])?", context.master):
+            path = tempfile.mkdtemp(prefix="graphloom-")
+        else:
+            raise RuntimeError("spark.checkpoint.dir is unset: it must name a folder that the driver and all executors share")
+    if not context._jsc.sc().getCheckpointDir().isDefined():
+        context.setCheckpointDir(path)
     return path.rstrip("/")
 
 
 def materialize(df: DataFrame, name: str = "t") -> DataFrame:
-    """Writes `df` as Parquet in the shared folder and reads it back: lineage is cut there.
-
-    Shuffle files that only `df` needed are then garbage; asking the collectors
-    to run lets Spark's cleaner delete them while the job goes on.
-    """
+    """Writes `df` as Parquet in the shared folder and reads it back: lineage is cut there."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-    return out
+    return spark.read.schema(df.schema).parquet(path)
+
+
+BITMAP_BITS = 20
+
+
+def likely_in(rows: DataFrame, wanted: DataFrame, key: str) -> DataFrame:
+    """The rows whose long column `key`, a hash, may be in `wanted`: all that are, and some others.
+
+    Goes by a bitmap of fixed size, so it only saves shuffling; an exact join has to follow.
+    """
+    slot = F.col(key).bitwiseAND(F.lit((1 << BITMAP_BITS) - 1))
+    cell = F.shiftrightunsigned(slot, 6)
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), slot.bitwiseAND(F.lit(63)).cast("int"))
+    bitmap = wanted.select(cell.alias("_cell"), bit.alias("_bit")).groupBy("_cell").agg(F.expr("bit_or(_bit)").alias("_bits"))
+    # 2 ** (BITMAP_BITS - 6) rows of 16 bytes at most
+    return rows.withColumn("_cell", cell).join(F.broadcast(bitmap), "_cell").filter(F.col("_bits").bitwiseAND(bit) != 0).drop("_cell", "_bits")
+
+
+def sample_rows(rows: DataFrame, stratum: str, order: str, bound: int) -> DataFrame:
+    """At most `bound` rows of each value of `stratum`: those with the smallest `order`, a 64-bit hash that tells rows apart.
+
+    Repeated rows (of equal order) count once.  Rows whose hash is beyond four
+    times the share wanted of their stratum are left out first, so that no
+    stratum meets in one task, however large it is.
+    """
+    counts = rows.groupBy(stratum).agg(F.count(F.lit(1)).alias("_in_stratum"))
+    place = F.pmod(F.col(order), F.lit(1 << 62)) / F.lit(float(1 << 62))
+    near = rows.join(counts, stratum).filter(place * F.col("_in_stratum") < 4.0 * bound).drop("_in_stratum").dropDuplicates([stratum, order])
+    return near.withColumn("_rank", F.row_number().over(Window.partitionBy(stratum).orderBy(order))).filter(F.col("_rank") <= bound).drop("_rank")
 
 
 def word_blocks(data: bytes, size: int = 1 << 20) -> Iterator[list[bytes]]:

@@ -8,14 +8,16 @@ zero and shrinks the rest by the L2 penalty (elastic net).  A temperature, fitte
 on a fifth of the sample that training leaves out, calibrates the probabilities.
 
 Document frequencies are counted over every training document.  The classifier
-is fitted on at most `train_rows` labelled documents, those with the smallest
-hashes of their ids; that bound also bounds what reaches the driver.  The model
-(`DIM` x languages) is a small broadcast.  Prediction reads whole texts.
+is fitted on at most `train_rows` labelled documents *of each language*, those with
+the smallest hashes of id and text, so rare languages are learned too; that bound on
+rows also bounds what reaches the driver.  The model (`DIM` x languages) is a small
+broadcast.  Prediction reads whole texts, very long ones too.
 
 Defined cases: a text that is null or has no letter is `und` with score 0; if no
-label can be learned, so is every text; null ids count as training rows; repeated
-rows are predicted alike; an empty table gives an empty result; other columns
-are ignored.
+label can be learned, so is every text; null ids count as training rows, as rows
+that repeat an id with another text do; rows that repeat id and text are learned
+from once and predicted alike; of equally likely languages the first by code point
+is predicted; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -29,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import held_out
+from graphloom.llm.common import held_out, sample_rows
 
 DIM_BITS = 15
 DIM = 1 << DIM_BITS
@@ -116,7 +118,7 @@ def ftrl(rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, classes:
     return w[:DIM], w[DIM]
 
 
-def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", modulus: int = 4, train_rows: int = 4000, l1: float = 0.002, l2: float = 0.5) -> LanguageModel:
+def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", modulus: int = 4, train_rows: int = 1000, l1: float = 0.002, l2: float = 0.5) -> LanguageModel:
     train = docs.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).alias("lang"), held_out(F.col(id_col), modulus).alias("h")).filter("not h and text is not null and lang is not null")
 
     def frequency(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -138,10 +140,8 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
             rows = [(lang, *features(total, idf)) for text, lang in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) if (total := counts(text)) is not None]
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1].astype(np.int32) for r in rows], pa.list_(pa.int32())), pa.array([r[2].astype(np.float32) for r in rows], pa.list_(pa.float32()))], ["lang", "at", "value"])
 
-    order = [F.xxhash64("id", F.lit("sample")), F.col("id")]
-    chosen = train.select("id", *[o.alias(f"o{i}") for i, o in enumerate(order[:1])]).orderBy("o0", "id").limit(train_rows).select("id").distinct()
-    # at most train_rows ids: their size is bounded by the parameter
-    sample = train.join(F.broadcast(chosen), "id", "left_semi").select("text", "lang").mapInArrow(sparse, "lang string, at array<int>, value array<float>").collect()
+    labelled = train.select("text", "lang", F.xxhash64("id", "text", F.lit("sample")).alias("order"))
+    sample = sample_rows(labelled, "lang", "order", train_rows).select("text", "lang").mapInArrow(sparse, "lang string, at array<int>, value array<float>").collect()  # train_rows a language
     sample = [(r.lang, np.array(r.at, dtype=np.int64), np.array(r.value, dtype=np.float64)) for r in sample]
     sample.sort(key=lambda r: (len(r[1]), r[0], r[2].tobytes()))
     sample = [sample[i] for i in np.random.default_rng(7).permutation(len(sample))]
@@ -175,7 +175,7 @@ def identify(docs: DataFrame, model: LanguageModel, text_col: str = "text", keep
     return kept.mapInArrow(run, kept.select(*names).schema.add("lang_pred", "string").add("score", "double"))
 
 
-def language_id(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", modulus: int = 4, train_rows: int = 4000) -> DataFrame:
+def language_id(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", modulus: int = 4, train_rows: int = 1000) -> DataFrame:
     """One row per row of `docs`: doc_id, held_out, lang_pred, score."""
     model = fit(docs, id_col, text_col, lang_col, modulus, train_rows)
     named = docs.select(F.col(id_col).alias("doc_id"), held_out(F.col(id_col), modulus).alias("held_out"), F.col(text_col).alias("text"))

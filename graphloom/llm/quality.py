@@ -8,16 +8,18 @@ adds to the linear terms a weight for each pair of features, the inner product o
 their factor vectors; by the sum-of-squares identity the pairs cost no more than
 the features: 1/2 sum_f ((sum_i v_if x_i)^2 - sum_i v_if^2 x_i^2).
 
-It is fitted by Adagrad on at most `train_rows` labelled documents that are not
-held out, those with the smallest hashes of their ids; the bound also bounds what
-reaches the driver.  Scoring reads whole texts.  Labels, language, source and id
-are never inputs.
+It is fitted by Adagrad on at most `train_rows` labelled documents of each label
+that are not held out, those with the smallest hashes of their ids; the bound on
+rows also bounds what reaches the driver.  Where a label has more documents than
+that, the bias is corrected for the shares that the sample changed.  Scoring reads
+whole texts, very long ones too.  Labels, language, source and id are never inputs.
 
 Defined cases: null and empty texts get a score from their (empty) statistics;
 null ids count as not held out and have no label; labels that repeat an id count
-once (the lowest quality wins); without labels every score is 0.5; repeated rows
-are scored alike; an empty table gives an empty result; other columns are
-ignored.
+once (the lowest quality wins); of several texts with one id, the one with the
+smallest hash is learned from; without labels every score is 0.5; repeated rows
+are scored alike, and so are texts with equal features (ties); an empty table gives
+an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -33,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import held_out
+from graphloom.llm.common import held_out, sample_rows
 
 WORD_BITS, SHAPE_BITS = 16, 12
 STATS = 16
@@ -113,12 +115,14 @@ def train(rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, epochs:
     return fm
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", modulus: int = 4, train_rows: int = 6000) -> FactorisationMachine:
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", modulus: int = 4, train_rows: int = 3000) -> FactorisationMachine:
     marks = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y")).filter("id is not null and y is not null")
     marks = marks.filter(~held_out(F.col("id"), modulus)).groupBy("id").agg(F.min("y").alias("y"))
-    # at most train_rows ids: their size is bounded by the parameter
-    chosen = marks.orderBy(F.xxhash64("id", F.lit("sample")), "id").limit(train_rows)
-    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(chosen), "id").select("text", "y")
+    shares = {r.y: r.n for r in marks.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}  # one row a label
+    chosen = sample_rows(marks.withColumn("order", F.xxhash64("id", F.lit("sample"))), "y", "order", train_rows).select("id", "y")
+    # at most train_rows ids a label: their size is bounded by the parameter
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(chosen), "id")
+    texts = texts.groupBy("id", "y").agg(F.min_by("text", F.xxhash64("text")).alias("text")).select("text", "y")
 
     def sparse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -127,10 +131,14 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
     sample = [(r.y, np.array(r.at, dtype=np.int64), np.array(r.value, dtype=np.float64)) for r in texts.mapInArrow(sparse, "y int, at array<int>, value array<float>").collect()]
     sample.sort(key=lambda r: (len(r[1]), r[0], r[2].tobytes()))
-    return train([r[1:] for r in sample], np.array([r[0] for r in sample], dtype=np.float64))
+    fm = train([r[1:] for r in sample], np.array([r[0] for r in sample], dtype=np.float64))
+    here, there = [sum(r[0] == y for r in sample) for y in (0, 1)], [shares.get(y, 0) for y in (0, 1)]
+    if min(here + there) > 0:
+        fm.bias += float(np.log(there[1] / there[0]) - np.log(here[1] / here[0]))
+    return fm
 
 
-def quality_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", modulus: int = 4, train_rows: int = 6000, threshold: float = 0.7) -> DataFrame:
+def quality_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", modulus: int = 4, train_rows: int = 3000, threshold: float = 0.7) -> DataFrame:
     """One row per row of `docs`: doc_id, held_out, score, predicted."""
     shared = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, id_col, text_col, label_col, modulus, train_rows))
     named = docs.select(F.col(id_col).alias("doc_id"), held_out(F.col(id_col), modulus).alias("held_out"), F.col(text_col).cast("string").alias("text"))
