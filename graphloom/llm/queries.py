@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import secrets
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,7 +14,7 @@ from graphloom.llm.exact_dedup import exact_dedup
 from graphloom.llm.langid import language_id
 from graphloom.llm.linededup import dedup_lines
 from graphloom.llm.mixing import mix_sources
-from graphloom.llm.pii import pseudonymise
+from graphloom.llm.pii import pseudonymise_checked
 from graphloom.llm.quality import quality_scores
 from graphloom.llm.simhash import simhash_groups
 from graphloom.llm.tokencount import token_counts
@@ -36,7 +38,9 @@ def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pseudonymise(table(spark, sf_dir, "documents"))
+    """With the session's key, or else one that nobody keeps."""
+    key = spark.conf.get("spark.graphloom.pii.key", None) or secrets.token_hex(32)
+    return pseudonymise_checked(table(spark, sf_dir, "documents"), key)
 
 
 def op6_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -75,7 +79,7 @@ FROM d WINDOW g AS (PARTITION BY text_sha256)
 
 OP4_SQL = r"""
 WITH rows_ AS (
-  SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size, md5('mix:' || CAST(doc_id AS VARCHAR)) AS o FROM documents
+  SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size, md5('mix:' || coalesce(CAST(doc_id AS VARCHAR), '-') || ':' || coalesce(text, '-')) AS o FROM documents
 ), sizes AS (
   SELECT source, CAST(sum(size) AS BIGINT) AS source_size, row_number() OVER (ORDER BY source NULLS LAST) AS k FROM rows_ GROUP BY source
 ), weighed AS (
