@@ -1,14 +1,16 @@
 """Fuzzy keys for 64-bit fingerprints from the binary Golay code [23, 12, 7].
 
 The code is perfect: each 23-bit word has exactly one codeword within three
-bits.  A fingerprint is cut into segments of 21, 21 and 22 bits.  If two
-fingerprints differ in at most three bits, some two of the three segments
-differ in at most one bit each.  A segment's keys are the indices (12 bits) of
-the codewords that its own value and all values one bit away decode to: one key
-if the value is within two bits of its codeword, else about six.  The index that
-a segment itself decodes to is then among the keys of every segment one bit
-away, so a key made of two segments' indices (24 bits and the pair's number) is
-common to any two fingerprints that must be compared.
+bits.  A fingerprint is cut into segments: 21, 21 and 22 bits for a radius of three
+bits, four of 16 for a radius of five.  If two fingerprints differ in at most that many
+bits, some two segments differ in at most one bit each: else all but one would differ
+in two at least, which makes 4 of three segments and 6 of four.
+
+A segment's keys are the indices (12 bits) of the codewords that its own value and all
+values one bit away decode to: one key if the value is within two bits of its codeword,
+else about six.  The index that a segment itself decodes to is then among the keys of
+every segment one bit away, so a key made of two segments' indices (24 bits and the
+pair's number) is common to any two fingerprints that must be compared.
 """
 
 from __future__ import annotations
@@ -20,8 +22,8 @@ import numpy as np
 
 #: Fixed value: a generator polynomial of the code, x^11+x^10+x^6+x^5+x^4+x^2+1.
 GENERATOR = 0b110001110101
-SEGMENTS = ((0, 21), (21, 21), (42, 22))
-PAIRS = ((0, 1), (0, 2), (1, 2))
+#: By radius: start and width of the segments.
+SEGMENTS = {3: ((0, 21), (21, 21), (42, 22)), 5: ((0, 16), (16, 16), (32, 16), (48, 16))}
 
 
 @cache
@@ -44,20 +46,19 @@ def index(words: np.ndarray) -> np.ndarray:
     return (words ^ errors[rem[words >> 11] ^ (words & 0x7FF)]) >> 11
 
 
-def segment_keys(fingerprints: np.ndarray, segment: int) -> np.ndarray:
+def segment_keys(fingerprints: np.ndarray, start: int, width: int) -> np.ndarray:
     """(n, width + 1) codeword indices, sorted by row, repeats set to -1."""
-    start, width = SEGMENTS[segment]
     value = (fingerprints.view(np.uint64) >> np.uint64(start)).astype(np.int64) & ((1 << width) - 1)
     found = np.sort(index(value[:, None] ^ np.array([0, *(1 << i for i in range(width))])[None, :]), axis=1)
     found[:, 1:][found[:, 1:] == found[:, :-1]] = -1
     return found
 
 
-def fuzzy_keys(fingerprints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(row, key) pairs of int64 fingerprints; rows within three bits share a key."""
-    each = [segment_keys(fingerprints, s) for s in range(3)]
+def fuzzy_keys(fingerprints: np.ndarray, radius: int = 3) -> tuple[np.ndarray, np.ndarray]:
+    """(row, key) pairs of int64 fingerprints; rows within `radius` bits share a key."""
+    each = [segment_keys(fingerprints, *s) for s in SEGMENTS[radius]]
     rows, keys = [], []
-    for number, (i, j) in enumerate(PAIRS):
+    for number, (i, j) in enumerate(combinations(range(len(each)), 2)):
         ri, ci = np.nonzero(each[i] >= 0)
         rj, cj = np.nonzero(each[j] >= 0)
         ki, kj = each[i][ri, ci], each[j][rj, cj]
