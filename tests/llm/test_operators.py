@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from graphloom.llm import contextmix, golay, langid, linededup, mixing, pii, quality, simhash, tokencount
 from graphloom.llm.components import connected_components
-from graphloom.llm.decontaminate import contaminated, smith_waterman
+from graphloom.llm.decontaminate import contaminated, smith_waterman, unsearchable
 from graphloom.llm.exact_dedup import exact_dedup
 
 DOC = "doc_id long, text string, lang string, source string, n_chars long"
@@ -442,56 +442,6 @@ def test_quality(spark):
     assert fm.logit(at, value) == pytest.approx(fm.bias + value @ fm.linear[at] + pairs)
 
 
-def test_lm_score(spark):
-    r = random.Random(15)
-    vocabulary = ["".join(r.choice(SYLLABLES) for _ in range(r.randint(1, 4))) for _ in range(400)]
-    weights = [1 / (i + 1) for i in range(400)]
-    two = [vocabulary, [w[:-1] + "é" for w in vocabulary]]  # two languages, told apart by their script
-    texts = [" ".join(r.choices(two[i % 2], weights, k=r.randint(1, 80))) for i in range(800)] + [None, "", "Zzqx never-seen ÄÖ"]
-    out: list = []
-    got = {x.doc_id: x for x in contextmix.score_documents(docs_of(spark, texts), chunk_bytes=20_000, model_out=out).collect()}
-    train = Counter()
-    tokens = lambda t: [*(t or "").lower().split(), ""]
-    for i, t in enumerate(texts):
-        if crc(i, 7) != 2:
-            train.update(tokens(t))
-    n, v = train.total(), len(train)
-    for i, t in enumerate(texts):
-        x = got[i]
-        assert x.held_out == (crc(i, 7) == 2) and x.n_tokens == len(tokens(t)) and x.n_known == sum(train[w] > 0 for w in tokens(t)) and x.train_tokens == n
-        assert x.base_score == pytest.approx(sum(np.log10((train[w] + 1) / (n + v + 1)) for w in tokens(t))) and x.score < 0
-    held = [x for x in got.values() if x.held_out]
-    assert sum(x.score for x in held) > sum(x.base_score for x in held)
-    # probabilities of all words that begin alike add up to at most one: every byte's distribution sums to one
-    model = out[0]
-    letters = [bytes([b]) for b in range(33, 256) if not 65 <= b <= 90]
-    one = 10.0 ** model.score([b"0" + x for x in letters] + [b"0"])
-    assert 0 < one.sum() <= 1 + 1e-6
-    whole, code = model.length, model.code
-    assert sum(2.0 ** -int(x) for x in whole) == pytest.approx(1) and len({(int(a), int(b)) for a, b in zip(whole, code, strict=True)}) == 256
-
-
-def test_lm_score_looks_at_the_previous_word(spark):
-    """Texts of a chain of words: the same words in another order cost more."""
-    r = random.Random(16)
-    vocabulary = ["".join(r.choice(SYLLABLES) for _ in range(3)) for _ in range(60)]
-    follows = {w: r.sample(vocabulary, 2) for w in vocabulary}
-    texts = []
-    for _ in range(400):
-        chain = [r.choice(vocabulary)]
-        while len(chain) < 40:
-            chain.append(r.choice(follows[chain[-1]]))
-        texts.append(" ".join(chain))
-    held = [t for i, t in enumerate(texts) if crc(i, 7) == 2]
-    shuffled = [" ".join(r.sample(t.split(), 40)) for t in held]
-    ids = [i for i in range(400, 4000) if crc(i, 7) == 2][: len(held)]
-    docs = spark.createDataFrame([*enumerate(texts), *zip(ids, shuffled, strict=True)], "doc_id long, text string")
-    got = {x.doc_id: x for x in contextmix.score_documents(docs).collect()}
-    straight = sum(x.score for i, x in got.items() if i < 400 and x.held_out)
-    assert sum(got[i].score for i in ids) < 1.2 * straight
-    assert contextmix.PREDICTORS == 8
-
-
 def test_decontamination(spark):
     r = random.Random(16)
     items = [words(r, r.randint(15, 40)) for _ in range(30)]
