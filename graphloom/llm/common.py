@@ -80,7 +80,8 @@ def sample_rows(rows: DataFrame, stratum: str, order: str, bound: int) -> DataFr
     times the share wanted of their stratum are left out first, so that no
     stratum meets in one task, however large it is.
     """
-    counts = rows.groupBy(stratum).agg(F.count(F.lit(1)).alias("_in_stratum"))
+    # one row a stratum: they are classes, for each of which a model holds more than that on the driver
+    counts = F.broadcast(rows.groupBy(stratum).agg(F.count(F.lit(1)).alias("_in_stratum")))
     place = F.pmod(F.col(order), F.lit(1 << 62)) / F.lit(float(1 << 62))
     near = rows.join(counts, stratum).filter(place * F.col("_in_stratum") < 4.0 * bound).drop("_in_stratum").dropDuplicates([stratum, order])
     return near.withColumn("_rank", F.row_number().over(Window.partitionBy(stratum).orderBy(order))).filter(F.col("_rank") <= bound).drop("_rank")
