@@ -229,14 +229,14 @@ def groups_of(n, linked):
     return group
 
 
-def edited_lines(r, n_base=60, n=50):
+def edited_lines(r, n_base=60, n=50, edits=(0, 0, 1, 2)):
     base = [" ".join(words(r, r.choice([2, 5, 9, 30, 60]))) for _ in range(n_base)]
     texts = []
     for _ in range(n):
         lines = []
         for line in r.sample(base, 6):
             w = line.split(" ")
-            for _ in range(r.choice([0, 0, 1, 2, len(w) // 10])):
+            for _ in range(r.choice(edits)):
                 w[r.randrange(len(w))] = "".join(r.choice(SYLLABLES) for _ in range(3))
             lines.append(r.choice(["", "  "]) + " ".join(w).replace("on", r.choice(["on", "ON"])))
         texts.append("\n".join([*lines, "", lines[0]]))
@@ -250,7 +250,9 @@ def test_line_dedup_against_brute_force(spark):
     norm = lambda x: x.lower().strip()
     distinct = sorted({norm(x) for t in texts for x in t.split("\n") if norm(x)})
     keys = [line_keys(x) for x in distinct]
-    group = groups_of(len(distinct), lambda i, j: keys[i] & keys[j] and similar(distinct[i], distinct[j]))
+    n = [len(set(x.split(" "))) for x in distinct]
+    need = lambda i, j: 1 + min(n[i], n[j]) // linededup.WORDS_A_BLOCK_MORE
+    group = groups_of(len(distinct), lambda i, j: len(keys[i] & keys[j]) >= need(i, j) and similar(distinct[i], distinct[j]))
     where = dict(zip(distinct, group, strict=True))
     seen, dropped = set(), 0
     for i, t in enumerate(texts):
@@ -293,13 +295,16 @@ def test_line_dedup_large_keys(spark):
     assert not any("Python" in p or "Arrow" in p for p in linededup.dedup_lines(docs_of(spark, other))._jdf.queryExecution().executedPlan().toString().split("\n"))
 
 
-def test_line_keys_of_long_lines(spark, monkeypatch):
-    """Keys made within the row and by grouping rows are the same."""
+def test_line_keys(spark):
+    """Keys of lines of all lengths against those by hand: as many, and shared by the same lines."""
     r = random.Random(12)
-    rows = spark.createDataFrame([(i, " ".join(words(r, n))) for i, n in enumerate((1, 2, 3, 8, 40, 700, 5000))], "h long, norm string")
-    in_row = {tuple(x) for x in linededup.line_keys(rows).collect()}
-    monkeypatch.setattr(linededup, "IN_ROW", 4)
-    assert {tuple(x) for x in linededup.line_keys(rows).collect()} == in_row
+    lines = [" ".join(words(r, n)) for n in (1, 2, 3, 8, 15, 17, 40, 700, 5000)]
+    lines += [" ".join(w if i % 9 else "other" for i, w in enumerate(x.split(" "))) for x in lines]
+    got = defaultdict(set)
+    for x in linededup.line_keys(spark.createDataFrame(list(enumerate(lines)), "h long, norm string")).collect():
+        got[x.h].add(x.key)
+    want = [line_keys(x) for x in lines]
+    assert all(len(got[i]) == len(w) for i, w in enumerate(want)) and all(len(got[i] & got[j]) == len(want[i] & want[j]) for i in range(len(lines)) for j in range(i))
 
 
 def test_line_dedup_ties_of_ids(spark):
