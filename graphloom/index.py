@@ -90,6 +90,10 @@ class Index:
         file = self.path / self.meta()["version"] / "bloom"
         return Bloom.from_bytes(file.read_bytes()) if file.exists() else None
 
+    def warnings(self) -> DataFrame:
+        """path, message: all files that the last run left out."""
+        return self.spark.read.schema("path string, message string").parquet(str(self.path / self.meta()["version"] / "warnings"))
+
     def snapshot(self) -> DataFrame:
         return self.spark.read.parquet(str(self.path / self.meta()["version"] / "resolved_edges"))
 
@@ -109,15 +113,20 @@ class Index:
             fresh = scanned.join(states.filter("state in ('new', 'changed')").select("path"), "path", "left_semi")
             kept = states.filter("state = 'unchanged'").select(F.xxhash64("path").alias("file_id"))
             if not by.get("new", 0) + by.get("changed", 0) + by.get("removed", 0):
+                states.unpersist()
+                scanned.unpersist()
                 report.elapsed_ms = int((time.time() - began) * 1000)
                 return report
         extracted = extract(fresh).cache()
-        report.warnings += [r.asDict() for r in extracted.filter("rec = 'warning'").select("path", F.col("context").alias("message")).limit(100).collect()]
-        failed = extracted.filter("rec = 'warning'").select("path").distinct()
+        warned = extracted.filter("rec = 'warning'").select("path", F.col("context").alias("message"))
+        failed = warned.select("path").distinct()
         made = tables_of(fresh.join(failed, "path", "left_anti"), extracted.filter("rec != 'warning'"))
         if kept is not None:
             made = {name: part.unionByName(_kept(old, name, kept)) for name, part in made.items()}
         version = f"v-{int(time.time() * 1000)}-{uuid.uuid4().hex[:8]}"
+        # all warnings are kept beside the tables; the report shows the first hundred
+        warned.orderBy("path").write.parquet(str(self.path / version / "warnings"))
+        report.warnings += [r.asDict() for r in self.spark.read.schema("path string, message string").parquet(str(self.path / version / "warnings")).orderBy("path").limit(100).collect()]
         for name, df in made.items():
             if name in ("symbols", "refs", "edges"):  # clustered by the names that lookups ask for, so that row groups can be skipped
                 df = df.sortWithinPartitions({"symbols": "name", "refs": "symbol_name", "edges": "to_symbol_name"}[name])
@@ -128,6 +137,8 @@ class Index:
         report.files_indexed = fresh.count()
         report.symbols_indexed, report.references_indexed = (extracted.filter(f"rec = '{rec}'").count() for rec in ("symbol", "ref"))
         self._point(version, root)
+        extracted.unpersist()
+        scanned.unpersist()
         report.elapsed_ms = int((time.time() - began) * 1000)
         return report
 

@@ -56,36 +56,44 @@ def _suffixes(name: str) -> Column:
     return F.when(n > 1, F.transform(F.sequence(F.lit(2), n), lambda i: F.array_join(F.slice(parts, i, n), "."))).otherwise(F.array().cast("array<string>"))
 
 
-def _wild(text: Column, first: Column, last: Column) -> Column:
-    """A join key of a suffix: its length and its first and last characters, where those are known."""
-    return F.concat_ws("|", F.length(text).cast("string"), F.when(first, F.substring(text, 1, 1)).otherwise(F.lit("")), F.when(last, F.substring(text, -1, 1)).otherwise(F.lit("")))
+def _known_run(text: Column) -> tuple[Column, Column]:
+    """Of a LIKE pattern whose wildcard is `_`: where the first run of other characters starts (from 1), and the run."""
+    run = F.regexp_extract(text, "[^_]+", 0)
+    return F.length(F.regexp_extract(text, "^_*", 0)) + 1, run
 
 
 def resolve_all(records: DataFrame, names: DataFrame) -> DataFrame:
     """M1 for many names: every match of each distinct `symbol`, with its rank, by equi-joins.
 
-    The LIKE arm joins on the length and outer characters of dotted suffixes and
-    then compares; only names with `%` in them, which no source language has, are
-    compared with every symbol.
+    In the LIKE arm, a name without wildcards is equal to a dotted suffix; one with
+    `_` joins suffixes of its length on its first run of known characters, at the
+    place where it has it, and is then compared.  Only names with `%` in them, which
+    no source language has, are compared with every symbol, where there are any.
     """
     names = names.select("symbol").distinct()
     columns = [F.col(c) for c in records.columns]
     keyed = records.select(F.explode(F.array_distinct(F.array("name", "qualified_name"))).alias("symbol"), *columns)
     hits = keyed.join(names, "symbol").withColumn("rank", F.when(F.col("qualified_name") == F.col("symbol"), 0).otherwise(1))
 
-    low = F.lower(F.col("symbol"))
-    starts, ends = ~low.startswith("_"), ~low.endswith("_")
-    asked = names.filter(~F.col("symbol").contains("%")).select("symbol", _wild(low, starts, ends).alias("key"))
-    yes, no = F.lit(True), F.lit(False)
+    other = (F.col("name") != F.col("symbol")) & (F.col("qualified_name") != F.col("symbol"))
     tails = records.select(*columns, F.explode(_suffixes("qualified_name")).alias("tail"))
-    tails = tails.select(*columns, F.explode(F.array_distinct(F.array(*[_wild(F.col("tail"), a, b) for a in (yes, no) for b in (yes, no)]))).alias("key"), "tail")
-    fits = F.expr("tail like replace(lower(symbol), '\\\\', '\\\\\\\\')") & (F.col("name") != F.col("symbol")) & (F.col("qualified_name") != F.col("symbol"))
-    suffix = tails.join(asked, "key").filter(fits).select("symbol", *columns).distinct().withColumn("rank", F.lit(2))
+    asked = names.filter(~F.col("symbol").contains("%")).withColumn("low", F.lower("symbol"))
+    plain = tails.join(asked.filter(~F.col("low").contains("_")), F.col("tail") == F.col("low")).filter(other).select("symbol", *columns)
+
+    start, run = _known_run(F.col("low"))
+    wild = asked.filter(F.col("low").contains("_")).select("symbol", F.length("low").alias("size"), start.alias("start"), run.alias("run")).withColumn("long", F.length("run"))
+    shapes = wild.select("size", "start", "long").distinct()  # few of each length: where runs start, and how long they are
+    shaped = tails.withColumn("size", F.length("tail")).join(shapes, "size").withColumn("run", F.expr("substring(tail, start, long)"))
+    fits = F.expr("tail like replace(lower(symbol), '\\\\', '\\\\\\\\')") & other
+    suffix = shaped.join(wild, ["size", "start", "long", "run"]).filter(fits).select("symbol", *columns)
+    suffix = plain.unionByName(suffix).distinct().withColumn("rank", F.lit(2))
+    found = hits.select("symbol", *columns, "rank").unionByName(suffix)
 
     percent = names.filter(F.col("symbol").contains("%"))
-    loose = F.expr("lower(qualified_name) like concat('%.', replace(lower(symbol), '\\\\', '\\\\\\\\'))") & (F.col("name") != F.col("symbol")) & (F.col("qualified_name") != F.col("symbol"))
-    wide = records.join(percent, loose).select("symbol", *columns).withColumn("rank", F.lit(2))
-    return hits.select("symbol", *columns, "rank").unionByName(suffix).unionByName(wide)
+    if percent.isEmpty():
+        return found
+    loose = F.expr("lower(qualified_name) like concat('%.', replace(lower(symbol), '\\\\', '\\\\\\\\'))") & other
+    return found.unionByName(records.join(percent, loose).select("symbol", *columns).withColumn("rank", F.lit(2)))
 
 
 def resolve_best(records: DataFrame, names: DataFrame) -> DataFrame:

@@ -182,8 +182,8 @@ def connect_levels(g: GraphTables, start: str, goal: str, depth: int = 8) -> tup
         queued = callees.join(frontier.select(F.col("id").alias("from_symbol_id"), F.col("place").alias("queue")), "from_symbol_id")
         new = queued.groupBy(F.col("callee_id").alias("id")).agg(F.min(F.struct("queue", "edge_id", F.col("from_symbol_id").alias("parent"))).alias("best"))
         new = new.join(visited.select("id"), "id", "left_anti")
-        rank = F.row_number().over(W.orderBy("best"))  # one level of the search, VISITED rows at most
-        frontier = cut(new.withColumn("place", rank.cast("long")).filter(F.col("place") <= VISITED).select("id", F.col("best.parent").alias("parent"), "place", F.lit(level).alias("level")), "level")
+        rank = F.row_number().over(W.orderBy("best"))  # one level of the search, VISITED rows at most: the cut comes first
+        frontier = cut(new.orderBy("best").limit(VISITED).withColumn("place", rank.cast("long")).select("id", F.col("best.parent").alias("parent"), "place", F.lit(level).alias("level")), "level")
         visited = visited.unionByName(frontier)
         hit = frontier.filter(F.col("id").isin(list(wanted))).orderBy("place").limit(1).collect()
         if hit:

@@ -332,10 +332,10 @@ def export_from(g):
     return walks.export_from(g, _ends(g)[0]).select("from_qualified_name", "to_qualified_name")
 
 
-@query("""&hunks AS (SELECT f.path, CAST(1 + o_orderkey % 200 AS INT) AS new_start, CAST(o_orderkey % 30 AS INT) AS new_count FROM orders JOIN files f ON f.id = o_orderkey % (SELECT count(*) FROM supplier) WHERE o_orderkey % 97 = 0)
+@query("""&hunks AS (SELECT f.path, CAST(1 + o_orderkey % 200 AS INT) AS new_start, CAST(o_orderkey % 30 AS INT) AS new_count FROM orders JOIN files f ON f.id = o_orderkey % (SELECT count(*) FROM supplier))
 SELECT id, qualified_name, CAST(sum(new_count) AS BIGINT) AS added_lines, 0 AS removed_lines FROM srec JOIN hunks USING (path) WHERE start_line <= new_start + greatest(new_count, 1) - 1 AND end_line >= new_start GROUP BY 1, 2""")
 def diff_overlap(g):
-    return look.hunk_symbols(g, _hunks(g, g.orders.filter("o_orderkey % 97 = 0"))).select("id", "qualified_name", "added_lines", "removed_lines")
+    return look.hunk_symbols(g, _hunks(g, g.orders)).select("id", "qualified_name", "added_lines", "removed_lines")
 
 
 def _hunks(g: GraphTables, orders: DataFrame) -> DataFrame:

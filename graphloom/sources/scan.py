@@ -33,11 +33,11 @@ def scan_tree(spark: SparkSession, root: str, config: Config) -> tuple[DataFrame
     if not paths:
         return spark.createDataFrame([], SCANNED), warnings
     base = str(Path(root).resolve())
-    wanted = spark.createDataFrame([(p,) for p in paths], "path string")
-    read = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(base)
-    plain = F.regexp_replace(F.regexp_replace("path", "^file:/+", "/"), "%20", " ")
+    # only the wanted files are listed and opened; a path is taken as it is, not as a pattern
+    read = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("__globPaths__", "false").load([f"{base}/{p}" for p in paths])
+    plain = F.regexp_replace("path", "^file:/+", "/")
     read = read.select(F.substring(plain, len(base) + 2, 1 << 20).alias("path"), F.col("content").alias("raw"))
-    kept = scan_frame(read.join(wanted, "path", "left_semi"))
+    kept = scan_frame(read)
     bad = kept.filter("content is null").select("path").collect()
     warnings += [{"path": r.path, "message": "not valid UTF-8"} for r in bad]
     return kept.filter("content is not null"), warnings
