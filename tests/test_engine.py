@@ -221,6 +221,29 @@ def test_matching(spark):
         one = {(s, r.qualified_name, r.k) for r in rec.filter(match.resolves(s)).withColumn("k", match.resolve_rank(s)).collect()}
         assert {x for x in got if x[0] == s} == one, s
     assert ("b_c", "A.bxc", 2) in got
+    # names that begin and end with wildcards join on what is between; nothing is compared with every symbol
+    python = rec.filter("id < 0").unionByName(spark.createDataFrame([(i, "__init__", f"C{i}.{q}", "function", 1, "a", "python", i, i, "", True) for i, q in enumerate(["__init__", "xxinityy", "othernam", "__iter__", "__exit__"])], cols))
+    asked = spark.createDataFrame([(s,) for s in ["__init__", "__", "____exit", "_xit__"]], "symbol string")
+    df = match.resolve_all(python, asked)
+    got = {(r.symbol, r.qualified_name, r["rank"]) for r in df.collect()}
+    for s in ["__init__", "__", "____exit", "_xit__"]:
+        assert {x for x in got if x[0] == s} == {(s, r.qualified_name, r.k) for r in python.filter(match.resolves(s)).withColumn("k", match.resolve_rank(s)).collect()}, s
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
+
+
+def test_scan_opens_wanted_files_only(spark, tmp_path):
+    """Names that look like patterns, escapes and partitions are files like any other; ignored folders are not read."""
+    from graphloom.sources.config import load_config
+    from graphloom.sources.scan import scan_tree
+
+    names = ["x y.ts", "[id].ts", "a%20b.ts", "k=v/q.ts", "{a,b}.ts", "é.ts"]
+    for n in [*names, "node_modules/z.ts"]:
+        (tmp_path / n).parent.mkdir(exist_ok=True)
+        (tmp_path / n).write_text("export function f() { g(); }\n")
+    files, warnings = scan_tree(spark, str(tmp_path), load_config(str(tmp_path)))
+    assert sorted(r.path for r in files.collect()) == sorted(names) and not warnings
+    assert "node_modules" not in " ".join(files.inputFiles())
 
 
 def test_pagerank_and_bfs(spark):
