@@ -131,6 +131,10 @@ def test_golay():
             y ^= 1 << int(i)
         rows, keys = golay.fuzzy_keys(np.array([x, y], dtype=np.uint64).view(np.int64))
         assert set(keys[rows == 0]) & set(keys[rows == 1])
+        for i in r.choice(64, int(r.integers(0, 3)), replace=False):  # five bits apart at most
+            y ^= 1 << int(i)
+        rows, keys = golay.fuzzy_keys(np.array([x, y], dtype=np.uint64).view(np.int64), 5)
+        assert set(keys[rows == 0]) & set(keys[rows == 1])
 
 
 @pytest.mark.parametrize("block", [4096, 12])

@@ -43,6 +43,19 @@ def test_stages(spark, folder):
     assert {"doc_id", "text", "copies"} <= set(final.columns) and {r.doc_id for r in final.collect()}.isdisjoint({401, 402, 403, 404, 405})
 
 
+def test_near_copies_keep_one_row(spark):
+    """Repeated rows become one; of two texts with one id each is judged by itself; similar texts by five-word shingles, not by fingerprints alone."""
+    r = random.Random(22)
+    base = words(r, 300)
+    near = [*base[:150], "changed", *base[151:]]
+    other = words(r, 300)
+    rows = [(5, " ".join(base), "en", "a", 1), (3, " ".join(near), "en", "a", 1), (3, " ".join(other), "en", "a", 1), (9, "rep eat ed", "en", "a", 1), (9, "rep eat ed", "en", "a", 1), (9, "rep eat ed", "fr", "b", 1), (None, "REP eat ed", None, None, None), (None, None, None, None, None), (None, "", None, None, None)]
+    got = P.near_copies(spark, spark.createDataFrame(rows, DOC), "").collect()
+    assert {(x.doc_id, x.text) for x in got} >= {(3, " ".join(near)), (3, " ".join(other)), (9, "rep eat ed")} and len(got) == 4
+    sets = [set(zip(*(t[i:] for i in range(5)))) for t in (base, near)]
+    assert len(sets[0] & sets[1]) >= 0.8 * len(sets[0] | sets[1])
+
+
 def test_empty(spark, tmp_path):
     spark.createDataFrame([], DOC).write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
