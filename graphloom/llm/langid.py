@@ -138,11 +138,11 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     def sparse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = [(lang, *features(total, idf)) for text, lang in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) if (total := counts(text)) is not None]
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1].astype(np.int32) for r in rows], pa.list_(pa.int32())), pa.array([r[2].astype(np.float32) for r in rows], pa.list_(pa.float32()))], ["lang", "at", "value"])
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1].astype(np.int32).tobytes() for r in rows], pa.binary()), pa.array([r[2].astype(np.float32).tobytes() for r in rows], pa.binary())], ["lang", "at", "value"])
 
     labelled = train.select("text", "lang", F.xxhash64("id", "text", F.lit("sample")).alias("order"))
-    sample = sample_rows(labelled, "lang", "order", train_rows).select("text", "lang").mapInArrow(sparse, "lang string, at array<int>, value array<float>").collect()  # train_rows a language
-    sample = [(r.lang, np.array(r.at, dtype=np.int64), np.array(r.value, dtype=np.float64)) for r in sample]
+    sample = sample_rows(labelled, "lang", "order", train_rows).select("text", "lang").mapInArrow(sparse, "lang string, at binary, value binary").collect()  # train_rows a language
+    sample = [(r.lang, np.frombuffer(r["at"], np.int32).astype(np.int64), np.frombuffer(r["value"], np.float32).astype(np.float64)) for r in sample]
     sample.sort(key=lambda r: (len(r[1]), r[0], r[2].tobytes()))
     sample = [sample[i] for i in np.random.default_rng(7).permutation(len(sample))]
     languages = sorted({r[0] for r in sample})

@@ -127,9 +127,9 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     def sparse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [features(t) for t in batch.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array([f[0].astype(np.int32) for f in found], pa.list_(pa.int32())), pa.array([f[1].astype(np.float32) for f in found], pa.list_(pa.float32()))], ["y", "at", "value"])
+            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array([f[0].astype(np.int32).tobytes() for f in found], pa.binary()), pa.array([f[1].astype(np.float32).tobytes() for f in found], pa.binary())], ["y", "at", "value"])
 
-    sample = [(r.y, np.array(r.at, dtype=np.int64), np.array(r.value, dtype=np.float64)) for r in texts.mapInArrow(sparse, "y int, at array<int>, value array<float>").collect()]
+    sample = [(r.y, np.frombuffer(r["at"], np.int32).astype(np.int64), np.frombuffer(r["value"], np.float32).astype(np.float64)) for r in texts.mapInArrow(sparse, "y int, at binary, value binary").collect()]
     sample.sort(key=lambda r: (len(r[1]), r[0], r[2].tobytes()))
     fm = train([r[1:] for r in sample], np.array([r[0] for r in sample], dtype=np.float64))
     here, there = [sum(r[0] == y for r in sample) for y in (0, 1)], [shares.get(y, 0) for y in (0, 1)]
