@@ -302,6 +302,28 @@ def test_line_dedup_large_keys(spark):
     assert not any("Python" in p or "Arrow" in p for p in linededup.dedup_lines(docs_of(spark, other))._jdf.queryExecution().executedPlan().toString().split("\n"))
 
 
+def test_line_pairs_of_large_keys(spark):
+    """Of a key with many lines all pairs count, also such as do not stand beside each other in any order."""
+    r = random.Random(31)
+    block = lambda w: xxhash.xxh64_intdigest(w, 42) % 4
+    names = lambda c, n: r.sample([w for w in {"".join(r.choice(SYLLABLES) for _ in range(4)) for _ in range(900)} if block(w) == c], n)
+    common = names(0, 5)  # 20 words are four blocks: this one all lines share, whatever the others are
+    lines, pairs = [], [("aa", "zz"), ("ab", "zy"), ("ac", "zx")]
+    for first, last in pairs:
+        rest = [w for c in (1, 2, 3) for w in names(c, 5)]
+        for x in (first, last):  # another word in each of the other three blocks, one of them where the line begins, one where it ends
+            w = list(rest)
+            for c, at in ((1, 0), (2, 5), (3, 14)):
+                w[at] = next(y for i in range(99) for y in [f"{x}{i}{x[::-1]}"] if block(y) == c)
+            lines.append(" ".join([*w[:9], *common, *w[9:]]))
+    lines += [" ".join([f"m{i:02}", *names(1, 4), *common, *names(2, 5), *names(3, 4), f"{i:02}m"]) for i in range(60)]
+    keys = [line_keys(x) for x in lines]
+    assert all(similar(lines[i], lines[i + 1]) and len(keys[i] & keys[i + 1]) == 1 and sum(keys[i] & keys[i + 1] <= k for k in keys) > 40 for i in (0, 2, 4))
+    group = groups_of(len(lines), lambda i, j: bool(keys[i] & keys[j]) and similar(lines[i], lines[j]))
+    got = linededup.dedup_lines(docs_of(spark, lines)).collect()
+    assert {x.doc_id for x in got if x.text} == set(group) and len(set(group)) < len(lines)
+
+
 def test_line_keys(spark):
     """Keys of lines of all lengths against those by hand: as many, and shared by the same lines."""
     r = random.Random(12)
