@@ -702,3 +702,20 @@ def test_decontamination_short_and_edited(spark):
     code = lambda ws: np.array([ids.get(w, -1) for w in ws])
     due = [(i, item) for i, item, _, _ in whole if smith_waterman(code(items[item]), code(docs[i].split()))[0] >= len(items[item])]
     assert len(due) > 200 and sum(k in got for k in due) >= 0.98 * len(due)
+
+
+def test_materialize_leaves_no_shuffle_files(spark):
+    """What was shuffled for a table that is written leaves the disk, and the session's setting stays as it was."""
+    import os
+
+    from graphloom.llm import common
+
+    folders = list(spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString())
+    size = lambda: sum(os.path.getsize(os.path.join(at, f)) for d in folders for at, _, files in os.walk(d) for f in files if f.startswith("shuffle_"))
+    before = size()
+    out = common.materialize(spark.range(200_000).groupBy((F.col("id") * 7919 % 150_001).alias("k")).agg(F.count(F.lit(1)).alias("n")))
+    for _ in range(50):
+        if size() <= before:
+            break
+        time.sleep(0.1)
+    assert size() <= before and out.agg(F.sum("n")).first()[0] == 200_000 and spark.conf.get(common.CLEANUP, None) is None
