@@ -352,6 +352,40 @@ def test_line_blanks(spark):
     assert [bool(x.text) for x in linededup.dedup_lines(docs_of(spark, texts)).orderBy("doc_id").collect()] == [True, False, False, False, True]
 
 
+def test_line_distance_bounds(spark):
+    """Bounds of the edit distance hold, and tell most lines of one vocabulary apart without it."""
+    r, d = random.Random(31), SYLLABLES
+    vocabulary = ["".join(r.choice(d) for _ in range(r.randint(1, 3))) for _ in range(400)] + ["größe", "z😀z", "."]
+    line = lambda n: " ".join(r.choice(vocabulary) for _ in range(n))
+    pairs = [(line(n), line(n)) for n in (1, 2, 20, 60, 60, 60, 60, 60, 60, 60, 60)]
+    for n in (1, 3, 30, 60, 100):
+        for edits in (1, 2, 3, n // 12, n // 8, n // 5, n // 3):
+            a = line(n)
+            w = a.split(" ")
+            for _ in range(edits):
+                w[r.randrange(len(w))] = r.choice(["", "x", "other", line(2)])
+            pairs.append((a, " ".join(x for x in w if x) or "x"))
+    frame = spark.createDataFrame([(a, b) for a, b in pairs + [(b, a) for a, b in pairs]], "norm string, lead_norm string")
+    exact = F.levenshtein("norm", "lead_norm")
+    got = frame.select(exact.alias("d"), linededup._most(0.8).alias("most"), linededup._at_most().alias("top"), linededup._apart(0.8).alias("apart"), linededup._similar(0.8).alias("similar"), (F.length("norm") > 150).alias("long")).collect()
+    assert all(x.top >= x.d and x.similar == (x.d <= x.most) and not (x.apart and x.similar) for x in got)
+    near = [x.top <= x.most for x in got if x.long and x.d <= x.most / 3]
+    assert len(near) >= 10 and sum(near) >= 0.9 * len(near)
+    far = [x.apart for x in got if x.long and x.d > 2 * x.most]
+    assert len(far) >= 10 and sum(far) >= 0.8 * len(far)
+
+
+def test_line_distance_of_long_lines_is_quick(spark):
+    """Copies of 30,000 characters with scattered edits: no edit distance of whole lines."""
+    r = random.Random(32)
+    w = ["".join(r.choice(SYLLABLES) for _ in range(r.randint(1, 3))) for _ in range(6000)]
+    other = [x if r.random() > 0.08 else "other" for x in w if r.random() > 0.02]
+    frame = spark.createDataFrame([(" ".join(w), " ".join(other))], "norm string, lead_norm string")
+    began = time.time()
+    assert frame.select(linededup._similar(0.8).alias("ok")).first().ok
+    assert time.time() - began < 12
+
+
 def test_long_lines_are_verified_by_edit_similarity(spark):
     """Lines of over 4096 characters: scattered small changes, dropped words, and another line."""
     r = random.Random(17)
