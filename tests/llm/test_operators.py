@@ -336,6 +336,25 @@ def test_line_keys(spark):
     assert all(len(got[i]) == len(w) for i, w in enumerate(want)) and all(len(got[i] & got[j]) == len(want[i] & want[j]) for i in range(len(lines)) for j in range(i))
 
 
+def test_common_words_bring_no_lines_together(spark):
+    """Lines that share only words that many lines hold share no large key; similar ones among them and variants of a template are found."""
+    r = random.Random(41)
+    word = lambda n: "".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n))
+    common, template = [word(3) for _ in range(12)], [word(5) for _ in range(40)]
+    prose = [r.sample([*common, *(word(8) for _ in range(16))], 28) for _ in range(700)]
+    old = [r.choice([x for x in line if len(x) == 8]) for line in prose[:30]]
+    edited = [[word(8) if w == x else w for w in line] for line, x in zip(prose, old, strict=False)]
+    variants = [[*template[: i % 40], f"v{i}x", *template[i % 40 + 1 :]] for i in range(600)]
+    frame = lambda lines: spark.createDataFrame([(" ".join(x),) for x in lines], "norm string").withColumn("h", F.xxhash64("norm"))
+    rows = frame(prose + edited)
+    assert linededup.shared_keys(linededup.line_keys(rows), rows)[0].agg(F.max("lines")).first()[0] <= 8
+    group = {x.node: x.component for x in linededup.line_groups(rows).collect()}
+    h = {x.norm: x.h for x in rows.collect()}
+    pairs = [(h[" ".join(a)], h[" ".join(b)]) for a, b in zip(prose, edited, strict=False) if similar(" ".join(a), " ".join(b))]
+    assert len(pairs) == 30 and all(group.get(a, a) == group.get(b, b) for a, b in pairs) and len(set(group.values())) == len(pairs)
+    assert linededup.line_groups(frame(variants)).agg(F.count("node"), F.count_distinct("component")).first() == (600, 1)
+
+
 def test_line_dedup_ties_of_ids(spark):
     """Null ids come last and are ordered among themselves; rows that share an id are different documents unless their texts agree."""
     shared = "one line that all of these documents share"
