@@ -2,6 +2,7 @@ import io
 import json
 import subprocess
 import threading
+import time
 import urllib.request
 
 import pytest
@@ -232,6 +233,26 @@ def test_matching(spark):
     assert "NestedLoop" not in plan and "Cartesian" not in plan
 
 
+def test_names_that_begin_alike(spark):
+    """Names of one beginning and length meet by what else they hold, not all with all."""
+    n = 6000
+    rows = [(i, f"get_{c}{i:05d}", f"K.get_{c}{i:05d}", "function", i, "a.py", "python", 1, 2, "", True) for i in range(n) for c in ("_x"[i % 2],)]
+    rec = spark.createDataFrame(rows, spark.createDataFrame([], "id long, name string, qualified_name string, kind string, file_id long, path string, language string, start_line int, end_line int, signature string, exported boolean").schema)
+    began = time.monotonic()
+    got = sorted((r.symbol, r.id) for r in match.resolve_all(rec, rec.select(F.concat(F.lit("GET_"), F.substring("name", 5, 10)).alias("symbol"))).collect())
+    # the wildcard of `GET__00002` takes the x of no odd name, since digits differ
+    assert got == sorted(("GET_" + r[1][4:], r[0]) for r in rows) and time.monotonic() - began < 15
+
+
+def test_odd_wildcards(spark):
+    """Shapes of names with wildcards against LIKE."""
+    tails = ["", "_", "__", "a", "ab", "a_b", "axb", "a\\b", "ab_", "_ab", "xab", "é_é", "éxé", "a__b", "axyb", "a_xb", "😀_", "😀b"]
+    asked = [*tails[1:], "A_B", "É_É", "___", "____", "_\\_", "a_b_", "a.b_"]
+    t, a = spark.createDataFrame([(x,) for x in tails], "tail string"), spark.createDataFrame([(x,) for x in asked], "symbol string")
+    got = sorted(tuple(r) for r in match._suffix_texts(t, a).collect())
+    assert got == sorted(tuple(r) for r in t.crossJoin(a).filter(F.expr("tail like replace(lower(symbol), '\\\\', '\\\\\\\\')")).collect()) and len(got) > 40
+
+
 def test_scan_opens_wanted_files_only(spark, tmp_path):
     """Names that look like patterns, escapes and partitions are files like any other; ignored folders are not read."""
     from graphloom.sources.config import load_config
