@@ -13,6 +13,7 @@ from graphloom.api import CodeGraph
 from graphloom.functions import jaro_winkler
 from graphloom.functions.bloom import Bloom, build_bloom
 from graphloom.index import Index, MissingIndex
+from graphloom.operators import compose
 from graphloom.operators import graph as walks
 from graphloom.operators import lookups
 from graphloom.operators.lookups import Filters
@@ -233,6 +234,48 @@ def test_matching(spark):
     assert "NestedLoop" not in plan and "Cartesian" not in plan
 
 
+def test_rank_takes_seeds_together(graph, monkeypatch):
+    """A block of seeds gives what each gives alone, and seeds of few nodes share a call."""
+    import numpy as np
+    import pandas as pd
+
+    rng = np.random.default_rng(3)
+    nodes, edges = [], []
+    for seed in range(40):
+        ids = rng.permutation(60)[: 1 + seed % 9]  # ids are shared between seeds
+        nodes += [(seed * 7, int(i), int(rng.integers(1, 3)) if seed % 5 else 2, n == 0 and seed % 3 > 0) for n, i in enumerate(ids)]
+        edges += [(seed * 7, int(a), int(b)) for a in ids for b in ids if a != b and rng.random() < 0.4]
+    nodes, edges = pd.DataFrame(nodes, columns=["seed", "id", "depth", "target"]), pd.DataFrame(edges, columns=["seed", "callee", "caller"])
+    alone = pd.concat([walks._rank(n, edges[edges["seed"] == s]) for s, n in nodes.groupby("seed")])
+    together = walks._rank(nodes, edges)
+    both = alone.merge(together, on=["seed", "id"])
+    assert len(both) == len(nodes) == len(together) and np.allclose(both["pagerank_x"], both["pagerank_y"], atol=1e-12)
+    assert np.allclose(together.groupby("seed")["pagerank"].sum(), 1)
+
+    targets = graph.spark.createDataFrame([(i, n) for i, n in enumerate(IMPACT)], "seed long, query string")
+    targets, tables = walks.cut(walks.impact_targets(graph.g, targets)), {}
+    monkeypatch.setattr(walks, "cut", lambda df, name="level", cut=walks.cut: tables.setdefault(name, cut(df, name)) if name == "nodes" else cut(df, name))
+    walks.impact_many(graph.g, targets, 2)
+    assert tables["nodes"].select("per", "block").distinct().count() < tables["nodes"].select("seed").distinct().count()
+
+
+def test_equal_hunks_meet_symbols_once(spark, graph):
+    """Sums are as from each of them."""
+    path, start = graph.g.symbol_records.filter("name = 'findById'").select("path", "start_line").first()
+    hunks = spark.range(1_000).select(F.lit(path).alias("path"), F.lit(start).alias("new_start"), (F.col("id") % 2).cast("int").alias("new_count"))
+    found = lookups.hunk_symbols(graph.g, hunks)
+    assert {r.name: r.added_lines for r in found.collect()}["findById"] == 500 and found.schema["added_lines"].dataType.typeName() == "long"
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("Aggregate [") == 2  # of hunks, then of symbols
+
+
+def test_seeds_of_a_diff_need_no_single_task(spark, graph, monkeypatch):
+    plans = {}
+    monkeypatch.setattr(compose.walks, "cut", lambda df, name="level", cut=walks.cut: plans.setdefault(name, df._jdf.queryExecution().executedPlan().toString()) and cut(df, name))
+    path = graph.g.symbol_records.filter("name = 'findById'").first().path
+    compose.diff_impact_frames(graph.g, spark.createDataFrame([(path, 1, 20)], "path string, new_start int, new_count int"), 2)
+    assert "Window" not in plans["targets"]
+
+
 def test_names_that_begin_alike(spark):
     """Names of one beginning and length meet by what else they hold, not all with all."""
     n = 6000
