@@ -259,6 +259,29 @@ def test_rank_takes_seeds_together(graph, monkeypatch):
     assert tables["nodes"].select("per", "block").distinct().count() < tables["nodes"].select("seed").distinct().count()
 
 
+def test_first_of_alike(spark):
+    """Five symbols of one name, one of which is among its own callers: two walks say what five say."""
+    from graphloom.model import GraphTables
+    from graphloom.schema import TABLES
+
+    tables = {name: spark.createDataFrame([], schema) for name, schema in TABLES.items()}
+    names = ["f", "f", "f", "f", "f", "g", "h", "k"]
+    g = GraphTables(**tables)
+    g.__dict__["symbol_records"] = spark.createDataFrame([(i, n, "Q." + n, "function", i % 2, f"p{i % 2}", "go", i, i, "", True) for i, n in enumerate(names)], g.symbol_records.schema)
+    calls = [(5, "f"), (6, "f"), (3, "f"), (7, "g"), (7, "h"), (6, "g")]
+    g.edges = spark.createDataFrame([(n, a, b, "call", 1.0) for n, (a, b) in enumerate(calls)], "id long, from_symbol_id long, to_symbol_name string, kind string, weight double")
+    targets = walks.cut(g.symbol_records.filter("name = 'f'").select(F.col("id").alias("seed"), F.col("qualified_name").alias("query"), *g.symbol_records.columns))
+    fewer, frontier = walks.first_of_alike(g, targets, 3)
+    assert sorted(r.seed for r in fewer.collect()) == [0, 3]
+
+    def ranks(found):
+        return {(r.seed, r.id): (r.depth, r.place, round(r.criticality, 6)) for r in found.collect()}
+
+    every, some = ranks(walks.impact_many(g, targets, 3)), ranks(walks.impact_many(g, fewer, 3, frontier=frontier))
+    assert some == {k: v for k, v in every.items() if k[0] in (0, 3)}
+    assert all({i: v for (s, i), v in every.items() if s == other} == {i: v for (s, i), v in some.items() if s == 0} for other in (1, 2, 4))
+
+
 def test_equal_hunks_meet_symbols_once(spark, graph):
     """Sums are as from each of them."""
     path, start = graph.g.symbol_records.filter("name = 'findById'").select("path", "start_line").first()
